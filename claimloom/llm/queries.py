@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, token_counts
+from . import media, mixing, packing, simhash, token_counts, winnowing
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.encode_column(table(spark, sf_dir, "documents")))
 
@@ -29,6 +37,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_mixing_sources": op2_mixing_sources,
+    "op5_document_fingerprints": op5_document_fingerprints,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_media_columns": op9_media_columns,
     "op10_token_counts": op10_token_counts,
 }
