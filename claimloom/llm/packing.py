@@ -30,6 +30,7 @@ times the at most sqrt(2 * capacity) distinct lengths a bin can hold.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 
@@ -47,26 +48,46 @@ CAPACITY = 4096
 END_ID = 1
 #: Text of these characters has the same letters, digits, spaces, case and normal form in all libraries.
 PLAIN = regex.compile(r"[\t\n\r -~¡-ÿ]*")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 CACHED_CHARS = 40
+#: Texts whose words are held at a time.
+ROWS = 256
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes; words of plain text are remembered."""
+    """Ids of whole texts as little-endian 32-bit bytes.
+
+    The tokenizer drops white space and never joins across it, so plain text is
+    encoded by its white-space chunks, which are remembered; their runs of
+    letters are encoded many at a time and parted at the ids that end a word.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = self.tokenizer.pre_tokenizer.__getstate__()
-        import json
-
-        steps = json.loads(spec)["pretokenizers"] if isinstance(spec, (str, bytes)) else spec["pretokenizers"]
-        self.words = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        steps = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"]
+        self.pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def letters(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for k in range(0, len(words), 1000):
+            part = words[k : k + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) != len(part):
+                out += self.whole(part)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -75,17 +96,28 @@ class Encoder:
             if "<|" in text or not PLAIN.fullmatch(text):
                 odd.append(i)
             else:
-                plain.append((i, self.words(text.lower())))
+                plain.append((i, text.lower().split()))
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known, rare = self.known, {}
-        new = list({w for _, words in plain for w in words if w not in known})
-        for w, ids in zip(new, self.whole(new), strict=True):
-            (known if len(w) <= CACHED_CHARS else rare)[w] = ids
+        known = self.known
+        new = set().union(*(words for _, words in plain)).difference(known)
+        long = {w for w in new if len(w) > CACHED_CHARS}
+        alone = [w for w in new if w.isalpha()]
+        known.update(zip(alone, self.letters(alone), strict=True))
+        mixed = {w: self.pieces(w) for w in new.difference(alone)}
+        parts = set().union(*mixed.values()).difference(known)
+        alone = [w for w in parts if w.isalpha()]
+        known.update(zip(alone, self.letters(alone), strict=True))
+        marks = list(parts.difference(alone))
+        known.update(zip(marks, self.whole(marks), strict=True))
+        known.update((w, b"".join(map(known.__getitem__, pieces))) for w, pieces in mixed.items())
+        long |= {w for w in parts if len(w) > CACHED_CHARS}
         for i, words in plain:
-            out[i] = b"".join(map(known.__getitem__, words)) if not rare else b"".join(known.get(w) or rare.get(w, b"") for w in words)
+            out[i] = b"".join(map(known.__getitem__, words))
+        for w in long:
+            del known[w]
         return out
 
 
@@ -106,7 +138,7 @@ def token_pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int
 
     def run(batches):
         encode = encoder(path).encode
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             at, piece, start, length, crc, ids = [], [], [], [], [], []
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             for row, body in enumerate(encode(texts)):
