@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, simhash, token_counts, winnowing
+from . import media, mixing, packing, recompression, simhash, suffix_index, token_counts, winnowing
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_index.dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -37,6 +45,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_mixing_sources": op2_mixing_sources,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_media_columns": op9_media_columns,
