@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 #: A word is a run of bytes that are neither a space nor one of the five ASCII line and tab controls.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
-#: Upper bound on the rows of one Arrow batch where whole texts cross into Python.
-TEXT_BATCH_ROWS = "512"
+#: Rows whose texts are Python objects at a time; an Arrow batch may hold many more.
+TEXT_ROWS = 512
+ROWS_PER_FILE = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +48,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
 class Step:
     """A written intermediate table: survives the loss of executors and cuts lineage."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, rows: int | None = None):
+        """``rows``, if known, bounds the number of files: a small table is not written as many tiny ones."""
         self.spark = df.sparkSession
+        if rows is not None:
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, rows // ROWS_PER_FILE))
         self.path = f"{shared_dir(self.spark)}/claimloom/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
@@ -72,10 +77,17 @@ def _clean() -> None:
             return
 
 
+def sliced(batches, rows: int = TEXT_ROWS):
+    """Arrow batches in slices of at most so many rows."""
+    return (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now, not when the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round of collection lets go of, the second finds unreachable
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

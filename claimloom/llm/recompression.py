@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Step, release
+from .common import Step, release, sliced
 
 SIZE = 13
 ROUNDS = 5
@@ -175,7 +175,7 @@ def _anchor_rows(docs: DataFrame, size: int) -> DataFrame:
     """(key, id, sure) per document and distinct anchor; ``sure`` where another document of the batch stands for it in the shuffle."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for start, held in _groups(batch.column(1).to_pylist()):
                 names, fence, first = lay_out(held)
@@ -209,7 +209,7 @@ def _window_rows(docs: DataFrame, size: int) -> DataFrame:
     """(a, b, id) for every window of ``docs`` (id, text, keys) whose anchor is among the keys."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             keys = batch.column("keys")
             for start, held in _groups(batch.column("text").to_pylist()):
@@ -260,7 +260,7 @@ def dedup(docs: DataFrame, *, size: int = SIZE, with_text: bool = False, id_col:
     both = rows.join(lost.withColumnRenamed("id", "id2"), F.col("id") == F.col("id2"), "left").select("id", "text", "gone", "copy")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[], [], [], []]
             gone = batch.column("gone")
             for i, (text, copy) in enumerate(zip(batch.column("text").to_pylist(), batch.column("copy").to_pylist(), strict=True)):
