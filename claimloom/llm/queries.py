@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, mixing, packing, recompression, simhash, suffix_index, token_counts, winnowing
+from . import line_dedup, media, mixing, ordinal, packing, recompression, simhash, suffix_index, token_counts, winnowing
 from .common import table
 
 
@@ -30,10 +31,21 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal.fit_on(docs, ordinal.graded(table(spark, sf_dir, "labels")))
+    return ordinal.classify(docs, model).drop("text")
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.encode_column(table(spark, sf_dir, "documents")))
 
@@ -48,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_document_fingerprints": op5_document_fingerprints,
+    "op6_line_dedup": op6_line_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_media_columns": op9_media_columns,
     "op10_token_counts": op10_token_counts,
 }
