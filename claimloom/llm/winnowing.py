@@ -1,14 +1,15 @@
 """Document fingerprints by winnowing; DataFrame functions only.
 
-Every run of ``GRAM`` bytes of a text's UTF-8 has a hash; of each window of
+A text is a row of tokens: its words, long ones in pieces of at most ``PIECE``
+characters.  Every run of ``GRAM`` tokens has a hash; of each window of
 ``WINDOW`` consecutive hashes the least is marked, the rightmost of equal ones.
-Any passage of at least ``WINDOW + GRAM - 1`` bytes that two texts share leaves
+Any passage of at least ``WINDOW + GRAM - 1`` tokens that two texts share leaves
 a mark in both.  A mark keeps its position: it is a 64-bit integer of the hash
 (upper half) less the position from 1, so that the least mark of a window is
 the least hash at its rightmost place.  A text with fewer hashes than a window
-has one window; a text shorter than a gram has one gram, the whole text.
+has one window; a text of fewer tokens than a gram has one gram, the whole.
 
-Texts are taken in chunks of ``CHUNK`` windows, so a long text costs time in
+Tokens are taken in chunks of ``CHUNK`` windows, so a long text costs time in
 proportion to its length and intermediate arrays stay small.
 
 A fingerprint reads as its marks in order, in hexadecimal.  The likeness of two
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
 
-GRAM, WINDOW, CHUNK = 16, 32, 512
+GRAM, WINDOW, CHUNK, PIECE = 5, 8, 128, 16
+TOKEN = rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"
 RANGE_ROWS = 100_000
 NULL_ORDER = -(1 << 63)
 
@@ -42,15 +44,19 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
 def _windows(size: Column) -> Column:
     return F.greatest(F.lit(1), size - (GRAM + WINDOW - 2))
 
 
-def _chunk(raw: Column, size: Column, c: Column) -> Column:
-    """The marks of the windows of chunk ``c`` of the bytes ``raw``."""
+def _chunk(of: Column, size: Column, c: Column) -> Column:
+    """The marks of the windows of chunk ``c`` of the tokens ``of``."""
     windows = F.least(F.lit(CHUNK), _windows(size) - c * CHUNK)
     grams = F.least(windows + (WINDOW - 1), F.greatest(F.lit(1), size - (GRAM - 1)) - c * CHUNK)
-    keys = F.transform(F.sequence(c * CHUNK + 1, c * CHUNK + grams), lambda p: F.shiftleft(F.xxhash64(F.substring(raw, p, F.lit(GRAM))), 32) - p)
+    keys = F.transform(F.sequence(c * CHUNK + 1, c * CHUNK + grams), lambda p: F.shiftleft(F.xxhash64(F.slice(of, p, F.lit(GRAM))), 32) - p)
 
     def least(marks: Column, reach: int) -> Column:
         if reach == WINDOW:
@@ -62,12 +68,12 @@ def _chunk(raw: Column, size: Column, c: Column) -> Column:
     return _let(keys, lambda m: least(m, 1))
 
 
-def chunked_marks(raw: Column, first: Column | None = None) -> Column:
-    """array<array<bigint>>: the marks of each chunk of the bytes ``raw``, from chunk ``first`` on."""
-    size = F.octet_length(raw)
+def chunked_marks(of: Column, first: Column | None = None) -> Column:
+    """array<array<bigint>>: the marks of each chunk of the tokens ``of``, from chunk ``first`` on."""
+    size = F.size(of)
     first = F.lit(0) if first is None else first
     chunks = F.ceil(_windows(size) / CHUNK).cast("int")
-    every = F.transform(F.sequence(first, chunks - 1), lambda c: _chunk(raw, size, c))
+    every = F.transform(F.sequence(first, chunks - 1), lambda c: _chunk(of, size, c))
     return F.when(chunks > first, every).otherwise(F.array().cast("array<array<bigint>>"))
 
 
@@ -90,8 +96,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, marks, fingerprint) of each document, without a shuffle."""
-    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    made = docs.select(F.col(id_col), marks(chunked_marks(raw)).alias("marks"))
+    made = docs.select(F.col(id_col), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
+    made = made.select(id_col, marks(chunked_marks(F.col("tokens"))).alias("marks"))
     return made.withColumn("fingerprint", as_text(F.col("marks")))
 
 
@@ -142,15 +148,15 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     kept = (n - F.floor(n / 4)).cast("int")
     prefix = F.substring(F.col("text"), F.lit(1), kept)
     rows = rows.withColumn("n_chars", n.cast("long"))
-    rows = rows.withColumn("prefix_bytes", F.octet_length(prefix))
-    rows = rows.withColumn("edited", F.concat(prefix, F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), n - kept)).cast("binary"))
-    rows = rows.select("id", "ord", "tie", "ghost", "range", "n_chars", "prefix_bytes", "edited", F.sha2("edited", 256).alias("edited_sha256"), F.col("text").cast("binary").alias("raw"))
-    rows = rows.withColumn("chunks", chunked_marks(F.col("raw"))).drop("raw")
-    # chunks whose windows all lie in the unchanged part have the same marks in the edited text
-    same = F.greatest(F.lit(0), F.floor((F.col("prefix_bytes") - (GRAM + WINDOW - 2)) / CHUNK).cast("int"))
-    rows = rows.withColumn("same", same)
+    # all tokens of the kept part but its last stand in the edited text as they do in the text
+    rows = rows.withColumn("intact", F.greatest(F.lit(0), F.regexp_count(prefix, F.lit(TOKEN)) - 1))
+    rows = rows.withColumn("edited", F.concat(prefix, F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), n - kept)))
+    rows = rows.select("id", "ord", "tie", "ghost", "range", "n_chars", "intact", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), tokens(F.col("edited")).alias("edited"), tokens(F.col("text")).alias("own"))
+    rows = rows.withColumn("chunks", chunked_marks(F.col("own"))).drop("own")
+    # and so have chunks whose windows all lie in them the same marks
+    rows = rows.withColumn("same", F.greatest(F.lit(0), F.floor((F.col("intact") - (GRAM + WINDOW - 2)) / CHUNK).cast("int")))
     rows = rows.withColumn("edited_marks", F.array_distinct(F.concat(F.flatten(F.slice("chunks", F.lit(1), F.col("same"))), F.flatten(chunked_marks(F.col("edited"), F.col("same"))))))
-    rows = rows.withColumn("marks", marks(F.col("chunks"))).drop("chunks", "edited", "same", "prefix_bytes")
+    rows = rows.withColumn("marks", marks(F.col("chunks"))).drop("chunks", "edited", "same", "intact")
     rows = rows.withColumn("own", hashes(F.col("marks")))
     rows = rows.select("id", "ord", "tie", "ghost", "range", "n_chars", "edited_sha256", as_text(F.col("marks")).alias("fingerprint"), as_text(F.col("edited_marks")).alias("edited_fingerprint"), "own", likeness(F.col("own"), hashes(F.col("edited_marks"))).alias("near_edited"))
     rows = rows.withColumn("next_own", F.lead("own").over(window)).where("!ghost")
