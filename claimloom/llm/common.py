@@ -101,3 +101,13 @@ def word_count(text):
 
 def ascii_lower(text):
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def with_rows(rows: DataFrame, id_col: str = "id", name: str = "row") -> DataFrame:
+    """``rows`` with a number of their own: the id where ids are unique integers, else one given to a written copy."""
+    if rows.schema[id_col].dataType.simpleString() in ("bigint", "int"):
+        null = rows.where(F.col(id_col).isNull()).limit(1).count()
+        repeated = rows.groupBy(id_col).count().where("count > 1").limit(1).count()
+        if not null and not repeated:
+            return rows.withColumn(name, F.col(id_col).cast("long"))
+    return materialize(rows.withColumn(name, F.monotonically_increasing_id()), "rows")

@@ -37,7 +37,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     step = Step(pairs, "edges")
     mark = _mark(step.df)
     while mark[0]:
-        after = Step(_small(_large(step.df)), "edges")
+        after = Step(_small(_large(step.df)), "edges", mark[0])
         step.drop()
         step, before, mark = after, mark, _mark(after.df)
         if mark == before:
