@@ -39,12 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Step, release
+from .common import Step, release, sliced, with_rows
 
 LENGTH, GRAM = 400, 200
 BATCHES = 4
 #: Bytes of texts that are hashed together; a longer text is a group of its own.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 PLACE_BITS = 28
 U = np.uint64
 PLACES = U((1 << PLACE_BITS) - 1)
@@ -134,7 +134,7 @@ def _groups(batch, column: str):
 
 def _entry_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             row = batch.column("row").to_numpy(zero_copy_only=False)
             for start, raw, sizes in _groups(batch, "text"):
                 text, key, at, lo, hi, region = entries(raw, sizes, length, gram)
@@ -145,38 +145,38 @@ def _entry_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 class IndexFamily:
-    """Levels of sorted entries (key), each twice as many batches as the one before, and the keys found shared so far."""
+    """Levels of sorted keys, each of twice as many batches as the one after it, and the keys found shared so far."""
 
-    def __init__(self) -> None:
+    def __init__(self, rows: int) -> None:
+        self.rows = rows
         self.levels: list[tuple[int, Step]] = []
-        self.found: list[Step] = []
+        self.written: list[Step] = []
+        self.found: list[DataFrame] = []
+
+    def _write(self, keys: DataFrame) -> Step:
+        self.written.append(Step(keys.sortWithinPartitions("key"), "level", self.rows))
+        return self.written[-1]
 
     def add(self, batch: DataFrame) -> None:
         """Sorts a batch of entries, scans it against all levels, and lets equal levels merge."""
-        counted = batch.groupBy("key").agg(F.count("*").alias("n"))
-        level = Step(counted.select("key", (F.col("n") > 1).alias("again")).sortWithinPartitions("key"), "level")
-        hits = level.df.where("again").select("key")
-        for _, other in self.levels:
-            hits = hits.unionByName(level.df.select("key").join(other.df.select("key"), "key"))
-        self.found.append(Step(hits.distinct(), "found"))
+        level = self._write(batch.groupBy("key").agg((F.count("*") > 1).alias("again")))
+        self.found.append(level.df.where("again").select("key"))
+        self.found += [level.df.select("key").join(other.df.select("key"), "key") for _, other in self.levels]
         size = 1
         while self.levels and self.levels[-1][0] == size:
             _, other = self.levels.pop()
-            merged = Step(level.df.select("key").unionByName(other.df.select("key")).distinct().withColumn("again", F.lit(False)).sortWithinPartitions("key"), "level")
-            other.drop()
-            level.drop()
-            level, size = merged, 2 * size
+            level, size = self._write(level.df.select("key").unionByName(other.df.select("key")).distinct().withColumn("again", F.lit(False))), 2 * size
         self.levels.append((size, level))
 
     def shared(self) -> DataFrame:
         """Keys that at least two entries of all batches have."""
-        out = self.found[0].df
-        for step in self.found[1:]:
-            out = out.unionByName(step.df)
+        out = self.found[0]
+        for keys in self.found[1:]:
+            out = out.unionByName(keys)
         return out.distinct()
 
     def drop(self) -> None:
-        for step in [s for _, s in self.levels] + self.found:
+        for step in self.written:
             step.drop()
 
 
@@ -187,7 +187,7 @@ def _string_rows(texts: DataFrame, length: int) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = batch.column("row").to_numpy(zero_copy_only=False)
             apart = batch.column("apart").to_pylist()
             for start, raw, sizes in _groups(batch, "text"):
@@ -274,15 +274,16 @@ def repeated_spans(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, b
     """(row, spans): the byte spans of each text of ``rows`` (row, text) that are covered by strings standing elsewhere too."""
     spark = rows.sparkSession
     whole = Step(_entry_rows(rows, length, gram).withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int")), "entries")
-    family = IndexFamily()
+    total = whole.df.count()
+    family = IndexFamily(total // batches)
     for b in range(batches):
         family.add(whole.df.where(F.col("batch") == b))
-    candidates = Step(whole.df.drop("batch").join(family.shared(), "key"), "candidates")
+    candidates = Step(whole.df.drop("batch").join(family.shared(), "key"), "candidates", total)
     whole.drop()
     family.drop()
     release(spark)
     found = candidates.df
-    classes = Step(found.groupBy("key", "region").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi")).alias("one")), "classes")
+    classes = Step(found.groupBy("key", "region").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi")).alias("one")), "classes", total)
     equal = found.join(classes.df.where("n > 1").select("key", "region"), ["key", "region"], "left_semi")
     spans = equal.select("row", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     open_keys = classes.df.where("n = 1").select("key").distinct()
@@ -290,7 +291,7 @@ def repeated_spans(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, b
     strings = Step(_string_rows(rows.join(apart, "row").select("row", "text", "apart"), length), "strings")
     release(spark)
     every = spans.unionByName(_meet(strings.df, length))
-    out = Step(every.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
+    out = Step(every.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans", total)
     for step in (candidates, classes, strings):
         step.drop()
     release(spark)
@@ -301,12 +302,12 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, batches: i
     """A row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes that are kept."""
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows, scratch = _with_rows(rows)
+    rows = with_rows(rows)
     found = repeated_spans(rows.select("row", "text"), length=length, gram=gram, batches=batches)
     both = rows.join(found.withColumnRenamed("row", "row2"), F.col("row") == F.col("row2"), "left").select("id", "text", "spans")
 
     def run(batches_):
-        for batch in batches_:
+        for batch in sliced(batches_):
             out: list[list] = [[] for _ in range(5)]
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = text.encode()
@@ -333,14 +334,3 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, batches: i
     done = both.mapInArrow(run, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
     return done if with_bytes else done.drop("kept")
 
-
-def _with_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``rows`` with a number of their own: the id where ids are unique integers, else numbers given to a written copy."""
-    kind = rows.schema["id"].dataType.simpleString()
-    if kind in ("bigint", "int"):
-        n, null, = rows.agg(F.count("*"), F.count(F.when(F.col("id").isNull(), 1))).first()
-        repeated = rows.groupBy("id").count().where("count > 1").limit(1).count()
-        if not null and not repeated:
-            return rows.withColumn("row", F.col("id").cast("long")), None
-    copy = Step(rows.withColumn("row", F.monotonically_increasing_id()), "rows").df
-    return copy, copy
