@@ -30,18 +30,26 @@ def extract(sources: DataFrame) -> DataFrame:
 def first_replacement(claims: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """(claim_id, superseded_by): the first claim of the group in ``order`` that says it replaces and reads otherwise.
 
+    Mutual supersession is possible and kept.
+    """
+    return first_replacement_of(claims, claims, group, order)
+
+
+def first_replacement_of(new: DataFrame, old: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """(claim_id, superseded_by) of ``old`` claims by ``new`` ones.
+
     Two minima per group decide every member: the first replacing claim, and the
     first whose text differs from that one's.  No claim is paired with another,
-    so a group of any size costs one pass.  Mutual supersession is possible and kept.
+    so a group of any size costs one pass.
     """
     row = F.struct(*order, F.col("claim_id").alias("by"), F.col("normalized_text").alias("reads"))
-    says = claims.where(has_replacement(F.col("normalized_text"))).select(*group, row.alias("r"))
+    says = new.where(has_replacement(F.col("normalized_text"))).select(*group, row.alias("r"))
     key = [F.col(g) for g in group]
     one = says.groupBy(*key).agg(F.min("r").alias("r1"))
     same = _same(group, "s", "o")
     two = says.alias("s").join(one.alias("o"), same).where(F.col("s.r.reads") != F.col("o.r1.reads")).groupBy(*[F.col(f"s.{g}").alias(g) for g in group]).agg(F.min("s.r").alias("r2"))
     both = one.alias("s").join(two.alias("o"), same, "left").select(*[F.col(f"s.{g}").alias(g) for g in group], "r1", "r2")
-    hit = claims.alias("s").join(both.alias("o"), same)
+    hit = old.alias("s").join(both.alias("o"), same)
     by = F.when(F.col("s.normalized_text") != F.col("o.r1.reads"), F.col("o.r1.by")).otherwise(F.col("o.r2.by"))
     return hit.select(F.col("s.claim_id").alias("claim_id"), by.alias("superseded_by")).where("superseded_by is not null")
 
