@@ -114,6 +114,11 @@ def _round(names, fence, low, high, size, r: int):
     before, after = np.maximum(heads - 1, 0), np.minimum(ends, n - 1)
     new_low[alone] = np.minimum(new_low[alone], low[before[alone]])
     new_high[alone] = np.maximum(new_high[alone], high[after[alone]])
+    # an equal neighbour is no part of the run only because it pairs with the symbol beyond, which then matters too
+    taken = alone & second[before] & (names[before] == names[heads])
+    new_low[taken] = np.minimum(new_low[taken], low[before[taken] - 1])
+    taken = alone & pair[after] & (names[after] == names[heads])
+    new_high[taken] = np.maximum(new_high[taken], high[after[taken] + 1])
     return new, fence[heads], new_low, new_high, np.add.reduceat(size, heads), made_pair | run
 
 
