@@ -520,3 +520,6 @@ def capture_budget(spark, sf_dir):
     """Pages as the files of one snapshot per host, under small budgets."""
     files = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("snapshot_id"), F.col("url").alias("path"), F.lit("file").alias("mode"), F.octet_length("html").cast("long").alias("bytes"))
     return revisions.capture(files, max_files=3, max_file_bytes=4000, max_total_bytes=6000)
+
+
+from claimloom.plans import catalog_more  # noqa: E402, F401  registers its queries
