@@ -27,13 +27,13 @@ def test_words_and_phrases(spark):
 
 
 def test_hints(spark):
-    rows = spark.createDataFrame([("Deploys happen on Friday.",), ("Ben owns release approval now.",), ("This is it",), ("The platform uses BatPak for append-only event storage.",), ("Decision: deploys moved to Tuesday.",)], "text string")
+    rows = spark.createDataFrame([("Deploys happen on Friday.",), ("Ben owns release approval now.",), ("This is it",), ("The platform uses RockStore for append-only event storage.",), ("Decision: deploys moved to Tuesday.",)], "text string")
     got = [tuple(r) for r in T.with_hints(rows).select("subject_hint", "predicate_hint", "object_hint", "confidence_ppm").collect()]
     assert got == [
         ("deploy-process", "unknown", "friday", 700_000),
         ("release-process", "owns", "release approval now.", 800_000),
         ("this-is-it", "is", "is it", 650_000),
-        ("the-platform-uses-batpak-for-appendonly", "uses", "batpak for append-only event storage.", 650_000),
+        ("the-platform-uses-rockstore-for-appendonly", "uses", "rockstore for append-only event storage.", 650_000),
         ("deploy-process", "changed", "tuesday", 900_000),
     ]
 
