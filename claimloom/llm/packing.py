@@ -31,6 +31,7 @@ times the at most sqrt(2 * capacity) distinct lengths a bin can hold.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -46,12 +47,12 @@ from .common import materialize
 
 CAPACITY = 4096
 END_ID = 1
-#: Text of these characters has the same letters, digits, spaces, case and normal form in all libraries.
-PLAIN = regex.compile(r"[\t\n\r -~¡-ÿ]*")
+#: What the tokenizer itself must see whole: special strings, and characters whose class, case or normal form libraries could differ in.
+ODD = re.compile(r"[^\t\n\r -~\xa1-\xff]|<\|")
 CACHE_WORDS = 500_000
 CACHED_CHARS = 40
 #: Texts whose words are held at a time.
-ROWS = 256
+ROWS = 1024
 
 
 class Encoder:
@@ -93,7 +94,7 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         odd, plain = [], []
         for i, text in enumerate(texts):
-            if "<|" in text or not PLAIN.fullmatch(text):
+            if ODD.search(text):
                 odd.append(i)
             else:
                 plain.append((i, text.lower().split()))
