@@ -251,9 +251,15 @@ def edit_distance(a, b):
 
 
 def bits(hashes):
+    if not hashes:
+        return 0
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def line_features(words):
+    return [xxhash.xxh64_intdigest(w.encode(), 42) for w in words if len(words) <= 32 or len(w) >= 6]
+
+
 def test_line_dedup(docs, small):
     norm = lambda x: regex.sub(r"[^\p{L}\p{N}]+", " ", x.lower()).strip(" ")
     places, at = [], {}
@@ -262,12 +268,15 @@ def test_line_dedup(docs, small):
             if norm(x):
                 places.append((i, k, at.setdefault(norm(x), len(at))))
     lines = list(at)
-    sims = [bits([xxhash.xxh64_intdigest(w.encode(), 42) for w in x.split(" ")]) for x in lines]
+    sims = [bits(line_features(x.split(" "))) for x in lines]
+    marked = {k for k, x in enumerate(lines) if line_features(x.split(" "))}
     sets, links = Sets(len(lines)), 0
-    for a, b in combinations(range(len(lines)), 2):
+    for a, b in combinations(sorted(marked), 2):
         if sum((sims[a] ^ sims[b]) >> 16 * i & 0xFFFF == 0 for i in range(4)) >= 2 and (sims[a] ^ sims[b]).bit_count() <= 6:
-            most = int(max(len(lines[a]), len(lines[b])) * 0.2 + 1e-9)
-            if edit_distance(lines[a], lines[b]) <= most:
+            x, y = lines[a].split(" "), lines[b].split(" ")
+            if len(x) <= 32 and len(y) <= 32:
+                x, y = lines[a], lines[b]
+            if edit_distance(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9):
                 sets.join(a, b)
                 links += 1
     stays = {}
