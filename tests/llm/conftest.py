@@ -20,7 +20,7 @@ def small():
         head, tail = words(rng, rng.randint(0, 60)), words(rng, rng.randint(0, 60))
         middle = rng.choice([passage, other, "", passage + " " + passage])
         texts.append(rng.choice([" ", "\n"]).join(x for x in (head, middle, tail) if x))
-    base = words(rng, 120).split()
+    base = ["longer" + w for w in words(rng, 120).split()]
     for _ in range(12):
         edited = list(base)
         edited[rng.randrange(120)] = "edit" + str(rng.randrange(5))
