@@ -249,8 +249,8 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, Data
     release(spark)
     wanted = shared.df.join(copies.df, "id", "left_anti").groupBy("id").agg(F.collect_set("key").alias("keys"))
     windows = _window_rows(docs.join(wanted, "id").select("id", "text", "keys"), size)
-    earlier = F.lag("id").over(W.partitionBy("a", "b").orderBy("id"))
-    gone = windows.withColumn("earlier", earlier).where("earlier is not null")
+    earlier = F.min("id").over(W.partitionBy("a", "b").orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    gone = windows.withColumn("earlier", earlier).where("earlier < id")
     repeated = Step(gone.groupBy("id").agg(F.collect_set("a").alias("gone")), "repeated")
     shared.drop()
     release(spark)
