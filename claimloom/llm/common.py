@@ -90,6 +90,22 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each lengthened until no column has it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def let(value, body):
+    """``body`` of a column that is evaluated once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import let, shuffle_partitions
 
 GRAM, WINDOW, CHUNK, PIECE = 5, 8, 128, 16
 TOKEN = rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"
@@ -40,10 +40,6 @@ RANGE_ROWS = 100_000
 NULL_ORDER = -(1 << 63)
 
 
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
@@ -63,9 +59,9 @@ def _chunk(of: Column, size: Column, c: Column) -> Column:
             return F.array_distinct(F.slice(marks, 1, windows))
         step = min(reach, WINDOW - reach)
         halves = F.zip_with(marks, F.slice(marks, F.lit(step + 1), F.size(marks)), lambda x, y: F.least(x, y))
-        return _let(halves, lambda m: least(m, reach + step))
+        return let(halves, lambda m: least(m, reach + step))
 
-    return _let(keys, lambda m: least(m, 1))
+    return let(keys, lambda m: least(m, 1))
 
 
 def chunked_marks(of: Column, first: Column | None = None) -> Column:
@@ -91,7 +87,7 @@ def as_text(of: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard of two arrays without repeats."""
-    return _let(F.size(F.array_intersect(a, b)), lambda both: both / (F.size(a) + F.size(b) - both).cast("double"))
+    return let(F.size(F.array_intersect(a, b)), lambda both: both / (F.size(a) + F.size(b) - both).cast("double"))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,7 +105,7 @@ def _range_of(order: Column, bounds: list[int]) -> Column:
     coarse = F.array(*map(F.lit, bounds[width - 1 :: width])) if len(bounds) >= width else F.array().cast("array<bigint>")
     every = F.array(*map(F.lit, bounds))
     skipped = F.size(F.filter(coarse, lambda b: b < order)) * width
-    return _let(skipped, lambda s: s + F.size(F.filter(F.slice(every, s + 1, F.lit(width)), lambda b: b < order)))
+    return let(skipped, lambda s: s + F.size(F.filter(F.slice(every, s + 1, F.lit(width)), lambda b: b < order)))
 
 
 def with_next(docs: DataFrame, *, id_col: str, text_col: str) -> tuple[DataFrame, W]:
