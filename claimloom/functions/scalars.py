@@ -36,13 +36,13 @@ ROLE_BITS = [(1, "definition"), (2, "import"), (4, "write"), (8, "read"), (16, "
 
 
 def roles_of(mask: Column) -> Column:
-    """Names of the bits set in ``mask``; "reference" for none."""
-    found = F.filter(F.array(*[F.when(mask.bitwiseAND(F.lit(bit)) != 0, F.lit(name)) for bit, name in ROLE_BITS]), lambda x: x.isNotNull())
-    return F.when(F.size(found) == 0, F.array(F.lit("reference"))).otherwise(found)
+    """Names of the bits set in ``mask``, "reference" first where it is no definition."""
+    found = [F.when(mask.bitwiseAND(F.lit(bit)) != 0, F.lit(name)) for bit, name in ROLE_BITS]
+    return F.array_compact(F.array(F.coalesce(found[0], F.lit("reference")), *found[1:]))
 
 
 # Labels that judges give and what they stand for.
-RELATION_LABELS = {"duplicate": ["duplicate", "duplicates", "same", "equivalent"], "supersedes": ["supersedes", "supersede", "superseded", "replaces"], "conflict": ["conflict", "conflicts", "contradicts", "contradiction"], "unrelated": ["unrelated", "none", "no_relation"]}
+RELATION_LABELS = {"supersedes": ["supersedes", "supersede", "superseded"], "conflict": ["conflict", "conflicts", "conflicting"], "duplicate": ["duplicate", "duplicates", "duplicated"], "unrelated": ["unrelated", "none", "neutral"]}
 
 
 def relation_label(raw: Column) -> Column:
@@ -71,8 +71,9 @@ def code_rank(query: Column, name: Column, symbol: Column, path: Column) -> Colu
     return F.when(query == "", 1).when((name == query) | (symbol == query), 0).when(name.startswith(query), 1).when(name.contains(query) | symbol.contains(query), 2).when(path.contains(query), 3)
 
 
-def answer_state_for_rows(contradicted: Column, conflicting: Column, superseded: Column, supported: Column) -> Column:
-    return F.when(contradicted, "contradicted").when(conflicting, "incomparable").when(superseded, "stale").when(supported, "supported").otherwise("unverified")
+def answer_state_for_rows(contradicted: Column, conflicting: Column, superseded: Column, supported: Column, asserted: Column, structural: Column) -> Column:
+    """Support counts where something is asserted; structural evidence counts by itself."""
+    return F.when(contradicted, "contradicted").when(conflicting, "incomparable").when(superseded, "stale").when((asserted & supported) | structural, "supported").otherwise("unverified")
 
 
 def answer_state_for_claim(status: Column, contradicts: Column, supports: Column) -> Column:
@@ -86,8 +87,11 @@ def json_object(text: Column) -> Column:
     return F.when((start > 0) & (F.instr(F.reverse(text), "}") > 0) & (end > start), F.substring(text, start, end - start + 1))
 
 
+SESSION_ID = "[A-Za-z0-9_-]{1,64}"
+
+
 def valid_session_id(x: Column) -> Column:
-    return x.rlike("^[A-Za-z0-9_-]{1,64}$")
+    return x.rlike(rf"^{SESSION_ID}\z")
 
 
 def valid_digest(x: Column) -> Column:

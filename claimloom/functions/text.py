@@ -123,12 +123,12 @@ def content_tokens(text: Column) -> Column:
 
 
 # Words that carry no meaning for matching claims with code.
-STOP_TOKENS = ["the", "and", "for", "with", "from", "that", "this", "into", "must", "should", "uses", "use", "are"]
+STOP_TOKENS = ["and", "are", "for", "from", "into", "not", "our", "the", "this", "that", "use", "uses", "with"]
 
 
 def code_tokens(text: Column) -> Column:
-    """Distinct lower-case words of 3 bytes or more, parted also where camel case steps up, without stop words."""
-    parted = F.regexp_replace(text, r"(\p{Ll}|\p{N})(\p{Lu})", "$1 $2")
+    """Distinct lower-case words of 3 bytes or more, parted also where an ASCII capital follows a lower-case letter, without stop words."""
+    parted = F.regexp_replace(text, r"(\p{Ll})([A-Z])", "$1 $2")
     found = F.filter(F.split(F.lower(parted), r"[^\p{L}\p{N}]+"), lambda t: F.octet_length(t) >= 3)
     return F.array_except(F.array_distinct(found), F.array(*map(F.lit, STOP_TOKENS)))
 

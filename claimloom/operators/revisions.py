@@ -13,15 +13,16 @@ from claimloom.operators.tables import written
 
 MAX_FILES, MAX_FILE_BYTES, MAX_TOTAL_BYTES = 20_000, 4 << 20, 128 << 20
 MAX_WALK, MAX_PRIORS = 100_000, 1024
-# What belongs to a captured source by name or extension, and folders left out.
-SOURCE_NAMES = ["README", "LICENSE", "Makefile", "Dockerfile", "justfile"]
-SOURCE_EXTENSIONS = ["md", "txt", "rs", "py", "ts", "js", "toml", "yaml", "yml", "json"]
+# What belongs to a captured source by name or extension (in any case), and leading folders left out.
+SOURCE_NAMES = ["Makefile", "makefile", "GNUmakefile", "Dockerfile", "Containerfile", "justfile", "Justfile", "Rakefile", "Gemfile", "Procfile", "Jenkinsfile", "BUILD", "WORKSPACE"]
+SOURCE_EXTENSIONS = ["md", "rs", "py", "js", "jsx", "ts", "tsx", "go", "java", "kt", "c", "h", "cc", "cpp", "hpp", "toml", "yaml", "yml", "json", "sh"]
 LEFT_OUT = ["target", ".git"]
 
 
 def in_scope(path, extensions: list[str] = SOURCE_EXTENSIONS, names: list[str] = SOURCE_NAMES):
-    named = path.rlike(f"(^|/)({'|'.join(names)})$") | path.rlike(f"\\.({'|'.join(extensions)})$")
-    return named & ~path.rlike(f"(^|/)({'|'.join(x.replace('.', '[.]') for x in LEFT_OUT)})/")
+    """Whether a path is captured: a known name, or an extension after at least one more character of the name."""
+    named = path.rlike(f"(^|/)({'|'.join(names)})$") | path.rlike(f"(?i)[^/][.]({'|'.join(extensions)})$")
+    return named & ~path.rlike(f"^({'|'.join(x.replace('.', '[.]') for x in LEFT_OUT)})/")
 
 
 def ancestors(parents: DataFrame, child: str = "commit", parent: str = "parent", steps: int = 64) -> DataFrame:

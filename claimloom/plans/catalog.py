@@ -473,7 +473,7 @@ def fixed_point_ppm(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalars.unit_to_ppm(F.col("value") / 100.0).alias("ppm"))
 
 
-@query("bitmask_roles", """SELECT event_id, CASE WHEN event_id & 127 = 0 THEN 'reference' ELSE concat_ws(',', CASE WHEN event_id & 1 <> 0 THEN 'definition' END, CASE WHEN event_id & 2 <> 0 THEN 'import' END, CASE WHEN event_id & 4 <> 0 THEN 'write' END, CASE WHEN event_id & 8 <> 0 THEN 'read' END, CASE WHEN event_id & 16 <> 0 THEN 'generated' END, CASE WHEN event_id & 32 <> 0 THEN 'test' END, CASE WHEN event_id & 64 <> 0 THEN 'forward_definition' END) END AS roles FROM events""")
+@query("bitmask_roles", """SELECT event_id, concat_ws(',', CASE WHEN event_id & 1 <> 0 THEN 'definition' ELSE 'reference' END, CASE WHEN event_id & 2 <> 0 THEN 'import' END, CASE WHEN event_id & 4 <> 0 THEN 'write' END, CASE WHEN event_id & 8 <> 0 THEN 'read' END, CASE WHEN event_id & 16 <> 0 THEN 'generated' END, CASE WHEN event_id & 32 <> 0 THEN 'test' END, CASE WHEN event_id & 64 <> 0 THEN 'forward_definition' END) AS roles FROM events""")
 def bitmask_roles(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(scalars.roles_of(F.col("event_id").bitwiseAND(F.lit(127))), ",").alias("roles"))
 
@@ -495,9 +495,15 @@ def ancestry_closure(spark, sf_dir):
     return revisions.ancestors(parents).select("commit", "ancestor")
 
 
-@query("page_urls_scope", r"SELECT page_id, regexp_matches(url, '(^|/)(fr|de|es|en)/[0-9]+') AS in_scope FROM pages")
+_SCOPE_PATHS = ["src/main.RS", "target/out.rs", "docs/target/notes.md", "Makefile", "tools/Dockerfile", "notes.txt", ".git/config.toml", "docs/README", "app/view.tsx", "lib/.sh", "BUILD", "a/makefile.bak", "c/x.Hpp"]
+
+
+@query("page_urls_scope", f"""WITH p AS (SELECT page_id, {_SCOPE_PATHS!r}[page_id % {len(_SCOPE_PATHS)} + 1] AS path FROM pages)
+SELECT page_id, path, NOT regexp_matches(path, '^(target|[.]git)/') AND (split_part(path, '/', -1) IN ('Makefile', 'makefile', 'GNUmakefile', 'Dockerfile', 'Containerfile', 'justfile', 'Justfile', 'Rakefile', 'Gemfile', 'Procfile', 'Jenkinsfile', 'BUILD', 'WORKSPACE')
+  OR regexp_matches(lower(split_part(path, '/', -1)), '.[.](md|rs|py|js|jsx|ts|tsx|go|java|kt|c|h|cc|cpp|hpp|toml|yaml|yml|json|sh)$')) AS in_scope FROM p""")
 def page_urls_scope(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.col("url").rlike("(^|/)(fr|de|es|en)/[0-9]+").alias("in_scope"))
+    path = F.element_at(F.array(*map(F.lit, _SCOPE_PATHS)), (F.col("page_id") % len(_SCOPE_PATHS) + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path")).withColumn("in_scope", revisions.in_scope(F.col("path")))
 
 
 @query("status_yield_by_source", f"""WITH cl AS MATERIALIZED (SELECT c.*, source AS workspace_id, doc_id * 100000 + line AS seq FROM {S.doc_claims()} c WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY sha256(text))), sup AS (SELECT * FROM {S.superseded()})

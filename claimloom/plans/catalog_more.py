@@ -55,7 +55,7 @@ def percent_ppm(spark, sf_dir):
 
 @query("relation_labels", "SELECT event_id, CASE event_type WHEN 'view' THEN 'duplicate' WHEN 'click' THEN 'supersedes' WHEN 'error' THEN 'conflict' WHEN 'signup' THEN 'unrelated' END AS relation FROM events")
 def relation_labels(spark, sf_dir):
-    raw = F.when(F.col("event_type") == "view", " Same").when(F.col("event_type") == "click", "REPLACES").when(F.col("event_type") == "error", "contradiction ").when(F.col("event_type") == "signup", "none").otherwise("?")
+    raw = F.when(F.col("event_type") == "view", " Duplicated").when(F.col("event_type") == "click", "SUPERSEDE").when(F.col("event_type") == "error", "conflicting ").when(F.col("event_type") == "signup", "Neutral").otherwise("replaces")
     return table(spark, sf_dir, "events").select("event_id", scalars.relation_label(raw).alias("relation"))
 
 

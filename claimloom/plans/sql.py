@@ -130,5 +130,5 @@ def content_tokens(e: str) -> str:
 
 
 def code_tokens(e: str) -> str:
-    stop = ", ".join(f"'{w}'" for w in T.STOP_TOKENS)
-    return rf"list_distinct(list_filter(string_split_regex(lower(regexp_replace({e}, '(\p{{Ll}}|\p{{N}})(\p{{Lu}})', '\1 \2', 'g')), '[^\p{{L}}\p{{N}}]+'), lambda t: strlen(t) >= 3 AND NOT list_contains([{stop}], t)))"
+    stop = "'and', 'are', 'for', 'from', 'into', 'not', 'our', 'the', 'this', 'that', 'use', 'uses', 'with'"  # by hand, not by import
+    return rf"list_distinct(list_filter(string_split_regex(lower(regexp_replace({e}, '(\p{{Ll}})([A-Z])', '\1 \2', 'g')), '[^\p{{L}}\p{{N}}]+'), lambda t: strlen(t) >= 3 AND NOT list_contains([{stop}], t)))"

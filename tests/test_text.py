@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ def test_hints(spark):
 
 def test_tokens(spark):
     assert column(spark, ["Über x 12 über"], T.content_tokens) == [["über", "12"]]
-    assert sorted(column(spark, ["deployWindow the HTTPServer ab für2Go"], T.code_tokens)[0]) == ["deploy", "für2", "httpserver", "window"]
+    assert sorted(column(spark, ["deployWindow the HTTPServer ab für2Go"], T.code_tokens)[0]) == ["deploy", "für2go", "httpserver", "window"]
 
 
 def test_lines_keep_offsets_and_skip_blocks(spark):
@@ -59,9 +61,9 @@ def test_ids(spark):
 def test_scalars(spark):
     assert column(spark, [0.0, 0.5, 1.5, -1.0, float("nan"), 0.0000005], scalars.unit_to_ppm, "double") == [0, 500000, 1000000, 0, 0, 1]
     assert column(spark, ['say {"a": 1} end', "no", "} {"], scalars.json_object) == ['{"a": 1}', None, None]
-    assert column(spark, ["ok-1_A", "", "a b", "x" * 65], scalars.valid_session_id) == [True, False, False, False]
-    assert column(spark, ["Duplicates ", "replaces", "odd"], scalars.relation_label) == ["duplicate", "supersedes", None]
-    assert column(spark, [0, 5, 64], scalars.roles_of, "int") == [["reference"], ["definition", "write"], ["forward_definition"]]
+    assert column(spark, ["ok-1_A", "", "a b", "x" * 65, "é", "a\n"], scalars.valid_session_id) == [True, False, False, False, False, False]
+    assert column(spark, ["Duplicates ", "superseded", "CONFLICTING", " neutral", "replaces", "same"], scalars.relation_label) == ["duplicate", "supersedes", "conflict", "unrelated", None, None]
+    assert column(spark, [0, 5, 64], scalars.roles_of, "int") == [["reference"], ["definition", "write"], ["reference", "forward_definition"]]
     assert [scalars.retry_delay_ms(n) for n in (1, 2, 3, 10)] == [500, 1000, 2000, 30000]
     v = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([], []), ([1.0], [1.0, 2.0]), ([0.0], [1.0])], "a array<float>, b array<float>")
     assert [r[0] for r in v.select(scalars.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0, 0.0]
@@ -74,3 +76,20 @@ def test_scalars(spark):
 @pytest.mark.parametrize("text,want", [("a<b>&\"c\"", "a&lt;b&gt;&amp;&quot;c&quot;")])
 def test_escape(spark, text, want):
     assert column(spark, [text], T.html_escape) == [want]
+
+
+def test_long_documents_are_scanned_in_linear_time(spark):
+    n = 40_000
+    text = "\n".join("```" if i % 1000 == 500 else f"line {i}" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "d int, text string")
+    inside, want, at = False, [], 0
+    for i, x in enumerate(text.split("\n")):
+        if x == "```":
+            inside = not inside
+        elif not inside:
+            want.append((i + 1, at, x))
+        at += len(x) + 1
+    began = time.time()
+    assert [(r.line, r.char_start, r.line_text) for r in line_table(docs).collect()] == want
+    assert line_table(docs, keep_all=True).count() == n
+    assert time.time() - began < 60
