@@ -1,12 +1,15 @@
 """Document fingerprints by winnowing; DataFrame functions only.
 
-A text is a row of tokens: its words, long ones in pieces of at most ``PIECE``
-characters.  Every run of ``GRAM`` tokens has a hash; of each window of
+A text is a row of tokens: its words, and of words of over ``PIECE`` characters
+(unspaced text) each character, so that tokens do not depend on where a run
+begins.  Every run of ``GRAM`` tokens has a hash, which rolls from one to the
+next (cyclic polynomial: one rotation, the token that enters, the token that
+leaves); of each window of
 ``WINDOW`` consecutive hashes the least is marked, the rightmost of equal ones.
 Any passage of at least ``WINDOW + GRAM - 1`` tokens that two texts share leaves
-a mark in both.  A mark keeps its position: it is a 64-bit integer of the hash
-(upper half) less the position from 1, so that the least mark of a window is
-the least hash at its rightmost place.  A text with fewer hashes than a window
+a mark in both.  A mark keeps its position: it is a 64-bit integer of the low
+32 bits of the hash (upper half) and 2^32 - 1 less the position from 1, so that
+the least mark of a window is the least hash at its rightmost place.  A text with fewer hashes than a window
 has one window; a text of fewer tokens than a gram has one gram, the whole.
 
 Tokens are taken in chunks of ``CHUNK`` windows, so a long text costs time in
@@ -34,14 +37,35 @@ from pyspark.sql import functions as F
 
 from .common import let, shuffle_partitions
 
-GRAM, WINDOW, CHUNK, PIECE = 5, 8, 128, 16
-TOKEN = rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"
+GRAM, WINDOW, CHUNK, PIECE = 5, 8, 64, 16
+TOKEN = rf"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{{1,{PIECE}}}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
 RANGE_ROWS = 100_000
 NULL_ORDER = -(1 << 63)
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    """Hashes of the tokens of a text, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
+
+
+def _turned(x: Column, by: int) -> Column:
+    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
+
+
+def _rolled(of: Column, size: Column, first: Column, count: Column) -> Column:
+    """The marks of the ``count`` runs of tokens from place ``first`` (from 1) on, by one pass."""
+    k = F.least(F.lit(GRAM), size)
+
+    def step(state: Column, i: Column) -> Column:
+        """Keeps the run that ended before place ``i``, then takes the token at ``i`` in and the first of the run out."""
+        full = i >= first + k
+        mark = F.shiftleft(state["h"], 32).bitwiseOR(F.lit(0xFFFFFFFF) - (i - k))
+        leaves = F.when(full, _turned(F.get(of, i - k - 1), GRAM)).otherwise(F.lit(0).cast("long"))
+        entered = _turned(state["h"], 1).bitwiseXOR(F.coalesce(F.get(of, i - 1), F.lit(0).cast("long")))
+        return F.struct(entered.bitwiseXOR(F.coalesce(leaves, F.lit(0).cast("long"))).alias("h"), F.when(full, F.concat(state["out"], F.array(mark))).otherwise(state["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("h"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(F.sequence(first, first + count + k - 1), start, step)["out"]
 
 
 def _windows(size: Column) -> Column:
@@ -49,10 +73,10 @@ def _windows(size: Column) -> Column:
 
 
 def _chunk(of: Column, size: Column, c: Column) -> Column:
-    """The marks of the windows of chunk ``c`` of the tokens ``of``."""
+    """The marks of the windows of chunk ``c`` of the token hashes ``of``."""
     windows = F.least(F.lit(CHUNK), _windows(size) - c * CHUNK)
     grams = F.least(windows + (WINDOW - 1), F.greatest(F.lit(1), size - (GRAM - 1)) - c * CHUNK)
-    keys = F.transform(F.sequence(c * CHUNK + 1, c * CHUNK + grams), lambda p: F.shiftleft(F.xxhash64(F.slice(of, p, F.lit(GRAM))), 32) - p)
+    keys = _rolled(of, size, c * CHUNK + 1, grams)
 
     def least(marks: Column, reach: int) -> Column:
         if reach == WINDOW:
