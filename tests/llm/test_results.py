@@ -206,17 +206,35 @@ def test_suffix_dedup(docs, small, length, gram, batches):
 
 
 def marks(text):
-    tokens = re.findall(winnowing.TOKEN, text)
-    grams = max(1, len(tokens) - winnowing.GRAM + 1)
+    """By the plain definition: a hash of each run of tokens by itself, the least of each window, rightmost of equals."""
+    tokens = []
+    for run in re.findall(r"[^\x20\x09-\x0D]+", text):
+        tokens += [run] if len(run) <= winnowing.PIECE else list(run)
+    values = [xxhash.xxh64_intdigest(t.encode(), 42) for t in tokens]
+    k = min(winnowing.GRAM, len(values))
     hashes = []
-    for i in range(grams):
-        h = 42
-        for t in tokens[i : i + winnowing.GRAM]:
-            h = xxhash.xxh64_intdigest(t.encode(), h)
+    for i in range(max(1, len(values) - k + 1) if k else 1):
+        h = 0
+        for v in values[i : i + k]:
+            h = (h << 1 | h >> 63) & (1 << 64) - 1 ^ v
         h &= 0xFFFFFFFF
         hashes.append(h - (1 << 32) if h >> 31 else h)
+    grams = len(hashes)
     picked = [min(range(i, min(grams, i + winnowing.WINDOW)), key=lambda j: (hashes[j], -j)) for i in range(max(1, grams - winnowing.WINDOW + 1))]
-    return list(dict.fromkeys((hashes[p] << 32) - (p + 1) for p in picked))
+    return list(dict.fromkeys((hashes[p] << 32) + 0xFFFFFFFF - (p + 1) for p in picked))
+
+
+def test_shifted_passages_share_marks(spark):
+    """Every passage of WINDOW + GRAM - 1 tokens leaves a common mark, in unspaced text at any offset."""
+    rng = random.Random(12)
+    chinese = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(2000))
+    short = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(winnowing.WINDOW + winnowing.GRAM - 1))
+    spaced = " ".join(f"w{rng.randrange(500)}" for _ in range(winnowing.WINDOW + winnowing.GRAM - 1))
+    pairs = [(chinese, "字" + chinese), ("天地玄黃宇宙洪荒天地玄黃宇宙洪荒" + short, "x" * 40 + short + "y" * 30), ("one two " + spaced + " three", "four " + spaced)]
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    got = {r.doc_id: {m >> 32 for m in r.marks} for r in winnowing.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got[0] & got[1]) >= 0.98 * len(got[0])
+    assert all(got[2 * i] & got[2 * i + 1] for i in range(len(pairs)))
 
 
 def test_winnowing(docs, small):
