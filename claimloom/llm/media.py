@@ -11,7 +11,7 @@ Defined results: null text counts as empty; the payload is padded with zero
 bytes to a positive multiple of 64; equal payloads give equal streams; rows
 with a null id and repeated rows are kept; an empty table gives an empty
 result; other columns are ignored.  Damaged streams decode to what is intact,
-with ``errors`` counting lost or repeated packets.  One row at a time is held.
+with ``errors`` counting what does not hold.  One row at a time is held.
 """
 
 from __future__ import annotations
@@ -107,31 +107,53 @@ def encode(payload: bytes) -> bytes:
 
 
 def _programs(payload: bytes, table: int) -> bytes | None:
-    """The body of the section that a table's packet carries, if its check sum holds."""
+    """The body of the section that a table's packet carries, if it lies within the packet and its check sum holds."""
     at = 1 + payload[0]
+    if at + 3 > len(payload):
+        return None
     size = struct.unpack_from(">H", payload, at + 1)[0] & 0xFFF
     section = payload[at : at + 3 + size]
+    if size < 9 or len(section) < 3 + size:
+        return None
     return section[8:-4] if section[0] == table and crc32_mpeg(section) == 0 else None
 
 
+def _stamped(pes: bytes, head: int, flags: int) -> int | None:
+    """The presentation time of an elementary packet, if its header has room for one."""
+    if not flags & 0x80 or head < 5 or len(pes) < 14:
+        return None
+    x, y, z = struct.unpack_from(">BHH", pes, 9)
+    return (x & 0x0E) << 29 | (y & 0xFFFE) << 14 | z >> 1
+
+
 def decode(media: bytes) -> dict:
-    """Payload and features of a stream: programs, streams, packets, errors, (pts, packet) of each unit and random-access points."""
+    """Payload and features of a stream: programs, streams, packets, errors, (pts, packet) of each unit and random-access points.
+
+    Errors are bytes beyond the last packet, packets without a sync byte (which are left out), tables
+    that do not hold, steps of a continuity counter, and elementary packets without a start code, a
+    whole header, or the time that they announce.
+    """
     usable = len(media) // PACKET
     packets = np.frombuffer(media, np.uint8, usable * PACKET).reshape(usable, PACKET)
     pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    errors = int((packets[:, 0] != SYNC).sum()) + (len(media) % PACKET > 0)
+    lost = packets[:, 0] != SYNC
+    pids[lost] = -1
+    errors = int(lost.sum()) + (len(media) % PACKET > 0)
     programs: dict[int, int] = {}
     streams: dict[int, int] = {}
     for i in np.flatnonzero(pids == 0):
         body = _programs(packets[i, 4:].tobytes(), 0)
         errors += body is None
-        programs.update({n: p & 0x1FFF for n, p in struct.iter_unpack(">HH", body or b"")})
-    for pid in programs.values():
+        body = body or b""
+        programs.update({n: p & 0x1FFF for n, p in struct.iter_unpack(">HH", body[: len(body) // 4 * 4])})
+    for pid in sorted(set(programs.values())):
         for i in np.flatnonzero(pids == pid):
             body = _programs(packets[i, 4:].tobytes(), 2)
-            errors += body is None
-            at = 4 + (struct.unpack_from(">H", body, 2)[0] & 0xFFF) if body else 0
-            while body and at + 5 <= len(body):
+            if body is None or len(body) < 4:
+                errors += 1
+                continue
+            at = 4 + (struct.unpack_from(">H", body, 2)[0] & 0xFFF)
+            while at + 5 <= len(body):
                 kind, stream, extra = struct.unpack_from(">BHH", body, at)
                 streams[stream & 0x1FFF] = kind
                 at += 5 + (extra & 0xFFF)
@@ -139,24 +161,29 @@ def decode(media: bytes) -> dict:
     for pid in sorted(streams):
         own = np.flatnonzero(pids == pid)
         rows = packets[own]
-        control = rows[:, 3]
-        if len(own):
-            errors += int(((control[1:] & 15) != (control[:-1] + 1 & 15)).sum())
-        start = np.where(control & 0x20, 5 + rows[:, 4].astype(np.int32), 4)
-        begins = np.flatnonzero(rows[:, 1] & 0x40)
+        control = rows[:, 3].astype(np.int32)
+        carries = control >> 4 & 1  # packets of an adaptation field only do not count on
+        errors += int(((control[1:] & 15) != (control[:-1] + carries[1:] & 15)).sum())
+        start = np.where(control & 0x20, np.minimum(5 + rows[:, 4].astype(np.int32), PACKET), 4)
+        start = np.where(carries, start, PACKET)
+        begins = np.flatnonzero((rows[:, 1] & 0x40 > 0) & (carries > 0))
         marked = (control & 0x20 > 0) & (rows[:, 4] > 0) & (rows[:, 5] & 0x40 > 0)
         random_access += own[marked].tolist()
-        for a, b in zip(begins, [*begins[1:], len(own)], strict=True):
+        for a, b in zip(begins, np.append(begins[1:], len(own))[: len(begins)], strict=True):
             inside = start[a:b]
             if (inside[1:-1] == 4).all():  # whole packets between the first and the last
                 parts = [rows[a, inside[0] :].tobytes(), rows[a + 1 : b - 1, 4:].tobytes()] + ([rows[b - 1, inside[-1] :].tobytes()] if b - a > 1 else [])
             else:
                 parts = [rows[i, start[i] :].tobytes() for i in range(a, b)]
             pes = b"".join(parts)
+            if len(pes) < 9 or pes[:3] != b"\0\0\1":
+                errors += 1
+                continue
             length, flags, head = struct.unpack_from(">HxBB", pes, 4)
-            if flags & 0x80:
-                x, y, z = struct.unpack_from(">BHH", pes, 9)
-                times.append(((x & 0x0E) << 29 | (y & 0xFFFE) << 14 | z >> 1, int(own[a])))
+            pts = _stamped(pes, head, flags)
+            if pts is not None:
+                times.append((pts, int(own[a])))
+            errors += (pts is None and flags & 0x80 > 0) or (len(pes) < 9 + head)
             units.append(pes[9 + head : 6 + length] if length else pes[9 + head :])
     return {"payload": b"".join(units), "programs": programs, "streams": streams, "packets": usable, "errors": errors, "times": times, "random_access": random_access}
 

@@ -411,3 +411,26 @@ def test_thresholds_are_ordered():
     rows = [(f, np.ones(len(f), np.int64)) for f, _ in rows]
     model = ordinal.fit(rows, np.array([i % 3 for i in range(90)]))
     assert np.all(np.diff(model.thresholds) > 0)
+
+
+def test_damaged_streams_decode(small):
+    """No damage makes the decoder fail, and whole streams have no errors."""
+    rng = random.Random(3)
+    for n in range(4000):
+        payload = bytes(rng.randrange(256) for _ in range(64 * rng.randint(1, 20)))
+        whole = media.encode(payload)
+        assert n > 200 or (media.decode(whole)["payload"], media.decode(whole)["errors"]) == (payload, 0)
+        stream = bytearray(whole)
+        for _ in range(rng.randint(1, 6)):
+            kind, at = rng.randrange(4), rng.randrange(max(1, len(stream)))
+            if kind == 0 and stream:
+                stream[at] = rng.randrange(256)
+            elif kind == 1:
+                del stream[at : at + rng.choice([1, 4, 188, 200])]
+            elif kind == 2:
+                stream[at:at] = bytes(rng.randrange(256) for _ in range(rng.choice([1, 188])))
+            elif len(stream) > 188:
+                place = at // 188 * 188 + rng.randrange(12)
+                stream[place : place + 1] = bytes([rng.randrange(256)])
+        got = media.decode(bytes(stream))
+        assert got["errors"] >= 0 and len(got["payload"]) <= len(stream)
