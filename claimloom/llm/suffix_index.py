@@ -299,7 +299,7 @@ def repeated_spans(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, b
 
 
 def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, with_bytes: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes that are kept."""
+    """A row per document: id, n_bytes (of the text as it came), n_removed, n_spans, kept_sha256, kept_bytes (their number) and, if asked for, the bytes that are kept."""
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = with_rows(rows)
@@ -331,6 +331,6 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, batches: i
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, out, kinds)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    done = both.mapInArrow(run, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
+    done = both.mapInArrow(run, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col).withColumn("kept_bytes", F.col("n_bytes") - F.col("n_removed"))
     return done if with_bytes else done.drop("kept")
 
