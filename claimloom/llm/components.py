@@ -4,7 +4,10 @@ Each round joins every edge with the least neighbour of its end, in two
 halves; rounds are written to the shared folder, so lineage stays short and a
 lost executor costs no more than its tasks.  The number of rounds grows with
 the logarithm of the longest path.  No list of neighbours is ever built: only
-minima are aggregated, which combine before the shuffle.
+minima are aggregated, which combine before the shuffle.  The edges of a node
+with more than a ``HOT_SHARE``th of them take its minimum from a broadcast, so
+the centre of a large group is no join key; of such nodes there are
+2 * ``HOT_SHARE`` at most, whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -15,16 +18,31 @@ from pyspark.sql import functions as F
 from .common import Step
 
 
-def _large(edges: DataFrame) -> DataFrame:
+#: A node is hot if it has more than one in so many edges, and more than ``HOT_LEAST``.
+HOT_SHARE, HOT_LEAST = 1000, 100
+
+
+def _with_least(rows: DataFrame, ends: DataFrame, edges: int) -> DataFrame:
+    """``rows`` (a, b) with m, the least neighbour of a by ``ends`` (a, b), of at most 2 * ``edges`` rows."""
+    least = ends.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    many = max(HOT_LEAST, edges // HOT_SHARE)
+    hot = least.where(F.col("n") > many).select(F.col("a").alias("hot_a"), F.col("m").alias("hot_m"))
+    cold = least.where(F.col("n") <= many).select(F.col("a").alias("u"), "m")
+    told = rows.join(F.broadcast(hot), F.col("a") == F.col("hot_a"), "left")
+    # rows that know their minimum are dealt out at random; where such a key hits a node, the known minimum stands
+    told = told.withColumn("k", F.when(F.col("hot_a").isNull(), F.col("a")).otherwise(F.xxhash64("a", "b")))
+    met = told.join(cold, F.col("k") == F.col("u"), "left")
+    return met.select("a", "b", F.coalesce("hot_m", "m").alias("m"))
+
+
+def _large(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both.where("b > a"), both, n).select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-    moved = edges.join(least, F.col("a") == F.col("u")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+def _small(edges: DataFrame, n: int) -> DataFrame:
+    moved = _with_least(edges, edges, n).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(edges.groupBy("a").agg(F.min("b").alias("b"))).distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -37,7 +55,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     step = Step(pairs, "edges")
     mark = _mark(step.df)
     while mark[0]:
-        after = Step(_small(_large(step.df)), "edges", mark[0])
+        after = Step(_small(_large(step.df, mark[0]), mark[0]), "edges", mark[0])
         step.drop()
         step, before, mark = after, mark, _mark(after.df)
         if mark == before:
