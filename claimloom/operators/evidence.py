@@ -13,6 +13,8 @@ from claimloom.operators.search import top_per_group
 QUALITY = ["precise", "syntactic", "lexical", "unavailable"]
 MAX_GAPS = 256
 PER_CLAIM, IN_ALL = 4, 256
+#: Code occurrences that stand for one target; more are told as a gap.
+MAX_STRUCTURAL, BUDGET_GAP = 200, "budget_exceeded"
 LEAST_SCORE_PPM = 700_000
 
 
@@ -36,6 +38,29 @@ def overlapping(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     return rows.join(ranges, "path").where((F.col("line_end") >= F.col("ls")) & (F.col("line_start") <= F.col("le")))
 
 
+def structural_rows(code: DataFrame, targets: DataFrame, most: int = MAX_STRUCTURAL) -> DataFrame:
+    """Code (occurrence_id, symbol, name, path, line_start, line_end) that each target names, and the ``gap`` where it has more than ``most``.
+
+    A target (target_id, path, ls, le, symbol) names a path, or those lines of it
+    that meet [ls, le] (null: open), or a symbol by its id or shown name.  Both are
+    equi-joins; a target's first ``most`` rows by place are kept before the shuffle ends.
+    """
+    at_path = targets.where("path is not null").select("target_id", "path", "ls", "le")
+    by_path = code.join(at_path, "path").where((F.col("ls").isNull() | (F.col("line_end") >= F.col("ls"))) & (F.col("le").isNull() | (F.col("line_start") <= F.col("le"))))
+    named = targets.where("symbol is not null").select("target_id", F.col("symbol").alias("wanted"))
+    spelled = code.withColumn("wanted", F.explode(F.array_distinct(F.array("symbol", "name"))))
+    found = by_path.select("target_id", *code.columns).unionByName(spelled.join(named, "wanted").select("target_id", *code.columns))
+    first = top_per_group(found, ["target_id"], ["path", "line_start", "line_end", "occurrence_id"], most + 1)
+    over = first.where(F.col("rn") > most).select("target_id", F.lit(BUDGET_GAP).alias("gap"))
+    return first.where(F.col("rn") <= most).drop("rn").join(over, "target_id", "left")
+
+
+def latest_snapshots(links: DataFrame) -> DataFrame:
+    """(claim_id, snapshot_id): the snapshot of each claim's last deterministic supporting link by ``link_seq``."""
+    firm = links.where((F.col("method") == "deterministic") & (F.col("stance") == "supports"))
+    return firm.groupBy("claim_id").agg(F.max_by("snapshot_id", "link_seq").alias("snapshot_id"))
+
+
 def answers(view: DataFrame, evidence: DataFrame) -> DataFrame:
     """Each claim's answer: its status first, then what its evidence says."""
     said = evidence.groupBy("claim_id").agg(F.bool_or(F.col("stance") == "contradicts").alias("c"), F.bool_or(F.col("stance") == "supports").alias("s"))

@@ -172,11 +172,12 @@ def staleness_by_containment(spark, sf_dir):
 
 # ---- search
 
-@query("claims_search_page", f"""SELECT claim_id, path, line FROM {S.doc_claims()} WHERE contains({S.lower("text || ' ' || path || ' ' || subject_hint")}, 'the') AND contains({S.lower("text || ' ' || path || ' ' || subject_hint")}, 'is') ORDER BY claim_id, path LIMIT 50 OFFSET 10""")
+@query("claims_search_page", f"""SELECT claim_id, path, line, total, total > 60 AS has_more, CASE WHEN total > 60 THEN 'claims-v1:60' END AS next_cursor
+FROM (SELECT claim_id, path, line, count(*) OVER () AS total FROM {S.doc_claims()} WHERE contains({S.lower("text || ' ' || path || ' ' || subject_hint")}, 'the') AND contains({S.lower("text || ' ' || path || ' ' || subject_hint")}, 'is'))
+ORDER BY claim_id, path LIMIT 50 OFFSET 10""")
 def claims_search_page(spark, sf_dir):
-    rows = document_claims(spark, sf_dir)
-    hay = T.ascii_lower(F.concat_ws(" ", "text", "path", "subject_hint"))
-    return search.page(rows.where(hay.contains("the") & hay.contains("is")), ["claim_id", "path"], 50, 10).select("claim_id", "path", "line")
+    claims = document_claims(spark, sf_dir)
+    return search.claims_search(claims, "the is", 50, f"{search.CLAIMS_CURSOR}:10").select("claim_id", "path", "line", "total", "has_more", "next_cursor")
 
 
 @query("knowledge_search_ranked", f"""WITH c AS (SELECT 'claim' AS plane, 'claim:' || claim_id AS key, CAST(CASE WHEN {S.lower('text')} = 'th' OR {S.lower('subject_hint')} = 'th' THEN 0 WHEN starts_with({S.lower('text')}, 'th') OR starts_with({S.lower('subject_hint')}, 'th') THEN 1 WHEN contains({S.lower('text')}, 'th') OR contains({S.lower('subject_hint')}, 'th') THEN 2 WHEN contains({S.lower('path')}, 'th') THEN 3 END AS INTEGER) AS rank, text AS shown FROM {S.doc_claims()}),

@@ -190,3 +190,29 @@ def session_event_windows(spark, sf_dir):
 @query("running_event_counts", "SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS nth FROM events")
 def running_event_counts(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).alias("nth"))
+
+
+@query("triangulated_targets", """WITH c AS (SELECT doc_id, lang, source, 'src/' || source AS path, n_chars % 100 AS a FROM documents),
+f AS (SELECT 'path ' || source AS target_id, doc_id, path, a FROM c WHERE a + 5 >= 10 AND a <= 40
+  UNION ALL SELECT 'symbol ' || lang, doc_id, path, a FROM c UNION ALL SELECT 'name ' || source, doc_id, path, a FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY path, a, doc_id) AS rn, count(*) OVER (PARTITION BY target_id) AS n FROM f)
+SELECT target_id, doc_id AS occurrence_id, CASE WHEN n > 200 THEN 'budget_exceeded' END AS gap FROM r WHERE rn <= 200""")
+def triangulated_targets(spark, sf_dir):
+    """Code that paths with lines, symbols and shown names ask for; the cap of 200 a target is the operator's."""
+    docs = table(spark, sf_dir, "documents")
+    start = (F.col("n_chars") % 100).cast("int")
+    code_rows = docs.select(F.col("doc_id").alias("occurrence_id"), F.col("lang").alias("symbol"), F.col("source").alias("name"), F.concat(F.lit("src/"), "source").alias("path"), start.alias("line_start"), (start + 5).alias("line_end"))
+    none = F.lit(None)
+    paths = docs.select(F.concat(F.lit("path "), "source").alias("target_id"), F.concat(F.lit("src/"), "source").alias("path"), F.lit(10).alias("ls"), F.lit(40).alias("le"), none.cast("string").alias("symbol"))
+    symbols = [docs.select(F.concat(F.lit(word), c).alias("target_id"), none.cast("string").alias("path"), none.cast("int").alias("ls"), none.cast("int").alias("le"), F.col(c).alias("symbol")) for word, c in (("symbol ", "lang"), ("name ", "source"))]
+    targets = paths.unionByName(symbols[0]).unionByName(symbols[1]).distinct()
+    return evidence.structural_rows(code_rows, targets).select("target_id", "occurrence_id", "gap")
+
+
+@query("latest_supporting_snapshot", """SELECT doc_id % 97 AS claim_id, arg_max(source, doc_id) AS snapshot_id FROM documents
+WHERE n_chars % 3 <> 0 AND lang <> 'fr' GROUP BY doc_id % 97""")
+def latest_supporting_snapshot(spark, sf_dir):
+    method = F.when(F.col("n_chars") % 3 == 0, "judged").otherwise("deterministic")
+    stance = F.when(F.col("lang") == "fr", "contradicts").otherwise("supports")
+    links = table(spark, sf_dir, "documents").select((F.col("doc_id") % 97).alias("claim_id"), F.col("source").alias("snapshot_id"), F.col("doc_id").alias("link_seq"), method.alias("method"), stance.alias("stance"))
+    return evidence.latest_snapshots(links)
