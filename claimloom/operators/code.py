@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]{2,}"
@@ -11,16 +12,23 @@ OCCURRENCES = 200_000
 
 
 def lexical_index(files: DataFrame, path: str = "path", text: str = "text", most: int = NAMES_PER_FILE) -> DataFrame:
-    """(path, name, ord, truncated): the first spelling of each identifier of a file, whatever its case, in order of appearance.
+    """(path, name, ord, truncated): each identifier of a file once, whatever its case and in lower case, in order of appearance.
 
     The operator keeps ``most`` names per file and says so where there are more.
-    All of it is array work within the row; no shuffle.
+    A path of one row is array work within the row; rows of one path count as one
+    file, where a name has its least position in any of them, and names of equal
+    position come by name.
     """
-    found = F.regexp_extract_all(F.col(text), F.lit(f"({IDENTIFIER})"))
-    names = F.array_distinct(F.transform(found, F.lower))
-    rows = files.select(F.col(path).alias("path"), names.alias("names"))
+    several = files.groupBy(F.col(path).alias("_path")).count().where("count > 1").select("_path")
+    of = F.col(path).eqNullSafe(F.col("_path"))
+    found = F.transform(F.regexp_extract_all(F.col(text), F.lit(f"({IDENTIFIER})")), F.lower)
+    rows = files.join(several, of, "left_anti").select(F.col(path).alias("path"), F.array_distinct(found).alias("names"))
     rows = rows.withColumn("truncated", F.size("names") > most)
-    return rows.select("path", "truncated", F.posexplode(F.slice("names", 1, most)).alias("ord", "name")).select("path", "name", (F.col("ord") + 1).alias("ord"), "truncated")
+    alone = rows.select("path", "truncated", F.posexplode(F.slice("names", 1, most)).alias("ord", "name")).select("path", "name", (F.col("ord") + 1).alias("ord"), "truncated")
+    first = files.join(several, of, "left_semi").select(F.col(path).alias("path"), F.posexplode(found).alias("pos", "name")).groupBy("path", "name").agg(F.min("pos").alias("pos"))
+    ranked = first.withColumn("ord", F.row_number().over(W.partitionBy("path").orderBy("pos", "name"))).where(F.col("ord") <= most)
+    sizes = first.groupBy(F.col("path").alias("_path")).agg((F.count("*") > most).alias("truncated"))
+    return alone.unionByName(ranked.join(sizes, F.col("path").eqNullSafe(F.col("_path"))).select("path", "name", "ord", "truncated"))
 
 
 # The item keywords of the syntax tagger and the kind each one makes.

@@ -99,3 +99,20 @@ def test_ndjson(spark, tmp_path):
     (tmp_path / "n" / "bad.json").write_text("{not json\n")
     got = proposals.read_ndjson(spark, str(tmp_path / "n")).collect()
     assert sum(r._corrupt is None for r in got) == 1 and len(got) == 2
+
+
+def test_lexical_index_of_repeated_paths(spark, tmp_path):
+    """Rows of one path are one file, as in the SQL, null paths too; positions count repeats."""
+    import duckdb
+
+    from claimloom.plans import catalog
+
+    rows = [("u", "alpha alpha beta"), ("u", "other BETA gamma"), ("u", None), ("v", "one two One"), (None, "first second"), (None, "other third"), ("w", " ".join(f"n{i}x" for i in range(300))), ("w", " ".join(f"x{i}n" for i in range(300)))]
+    spark.createDataFrame(rows, "url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.QUERIES["lexical_index"](spark, str(tmp_path))
+    want = duckdb.sql(catalog.ORACLE_SQL["lexical_index"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    found = [tuple(r) for r in got.collect()]
+    assert [f.dataType.simpleString() for f in got.schema] == ["string", "string", "int", "boolean"]
+    assert len(found) == len(want) == len({r[:2] for r in found}) and {(r[0], r[2], r[3]) for r in found} == {(r[0], r[2], r[3]) for r in want}
+    assert {r[:3] for r in found if r[0] == "u"} == {("u", "alpha", 1), ("u", "other", 2), ("u", "beta", 3), ("u", "gamma", 4)}
+    assert {r[1] for r in found if r[0] is None} == {r[1] for r in want if r[0] is None}
