@@ -11,10 +11,10 @@ NAMES_PER_FILE = 512
 OCCURRENCES = 200_000
 
 
-def lexical_index(files: DataFrame, path: str = "path", text: str = "text", most: int = NAMES_PER_FILE) -> DataFrame:
+def lexical_index(files: DataFrame, path: str = "path", text: str = "text", most: int | None = None) -> DataFrame:
     """(path, name, ord, truncated): each identifier of a file once, whatever its case and in lower case, in order of appearance.
 
-    The operator keeps ``most`` names per file and says so where there are more.
+    All names are kept; with ``most``, so many per file, and ``truncated`` says where there are more.
     A path of one row is array work within the row; rows of one path count as one
     file, where a name has its least position in any of them, and names of equal
     position come by name.
@@ -23,10 +23,13 @@ def lexical_index(files: DataFrame, path: str = "path", text: str = "text", most
     of = F.col(path).eqNullSafe(F.col("_path"))
     found = F.transform(F.regexp_extract_all(F.col(text), F.lit(f"({IDENTIFIER})")), F.lower)
     rows = files.join(several, of, "left_anti").select(F.col(path).alias("path"), F.array_distinct(found).alias("names"))
-    rows = rows.withColumn("truncated", F.size("names") > most)
-    alone = rows.select("path", "truncated", F.posexplode(F.slice("names", 1, most)).alias("ord", "name")).select("path", "name", (F.col("ord") + 1).alias("ord"), "truncated")
+    rows = rows.withColumn("truncated", F.size("names") > most if most is not None else F.lit(False))
+    alone = rows.select("path", "truncated", F.posexplode(F.slice("names", 1, most) if most is not None else "names").alias("ord", "name")).select("path", "name", (F.col("ord") + 1).alias("ord"), "truncated")
     first = files.join(several, of, "left_semi").select(F.col(path).alias("path"), F.posexplode(found).alias("pos", "name")).groupBy("path", "name").agg(F.min("pos").alias("pos"))
-    ranked = first.withColumn("ord", F.row_number().over(W.partitionBy("path").orderBy("pos", "name"))).where(F.col("ord") <= most)
+    ranked = first.withColumn("ord", F.row_number().over(W.partitionBy("path").orderBy("pos", "name")))
+    if most is None:
+        return alone.unionByName(ranked.select("path", "name", "ord", F.lit(False).alias("truncated")))
+    ranked = ranked.where(F.col("ord") <= most)
     sizes = first.groupBy(F.col("path").alias("_path")).agg((F.count("*") > most).alias("truncated"))
     return alone.unionByName(ranked.join(sizes, F.col("path").eqNullSafe(F.col("_path"))).select("path", "name", "ord", "truncated"))
 

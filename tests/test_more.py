@@ -118,6 +118,23 @@ def test_lexical_index_of_repeated_paths(spark, tmp_path):
     assert {r[1] for r in found if r[0] is None} == {r[1] for r in want if r[0] is None}
 
 
+def test_lexical_index_keeps_every_name(spark, tmp_path):
+    """Files of over 512 names, of one row and of several, are indexed whole; the operator's bound is asked for."""
+    import duckdb
+
+    from claimloom.operators import code
+    from claimloom.plans import catalog
+
+    rows = [("one", " ".join(f"n{i}x" for i in range(700))), *[("two", " ".join(f"{a}{i}z" for i in range(400))) for a in ("p", "q")]]
+    spark.createDataFrame(rows, "url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.QUERIES["lexical_index"](spark, str(tmp_path)).collect()
+    want = duckdb.sql(catalog.ORACLE_SQL["lexical_index"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert {(r[0], r[1]) for r in got} == {(r[0], r[1]) for r in want}
+    assert {(r[0], r[2], r[3]) for r in got} == {(r[0], r[2], r[3]) for r in want} and len(got) == len(want) == 1500
+    some = code.lexical_index(spark.createDataFrame(rows, "path string, text string"), most=512).collect()
+    assert len(some) == 1024 and all(r.truncated for r in some)
+
+
 def vector_rows():
     """(id, label, vector): groups, a chain, copies, lone ones, zero, null and other sizes, repeated ids, null labels, and pairs at the floor itself."""
     import numpy as np
