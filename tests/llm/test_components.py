@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimloom.llm.components import HOT_LEAST, components
 
@@ -104,3 +105,14 @@ def test_lines_are_linked_without_python_on_executors(spark, monkeypatch):
     monkeypatch.setattr(c, "_in_one_task", lambda edges: 1 / 0)
     docs = spark.createDataFrame([(1, "one line of some words that stands here twice"), (2, "one line of some words that stands here twica")], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in line_dedup.dedup(docs).collect()} == {1: 0, 2: 1}
+
+
+def test_exploded_probes_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes them like the few fingerprints that they come of."""
+    from claimloom.llm import simhash
+
+    plans, real = {}, simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or real(df, name))
+    fps = real(spark.range(300).select(F.xxhash64("id").alias("fp")).unionByName(spark.range(300).select((F.xxhash64("id").bitwiseXOR(F.lit(5))).alias("fp"))), "fps")
+    found = simhash.linked(fps).collect()
+    assert len(found) == 600 and "SortMergeJoin" in plans["met"] and "Broadcast" not in plans["met"]
