@@ -116,3 +116,12 @@ def test_exploded_probes_are_not_broadcast(spark, monkeypatch):
     fps = real(spark.range(300).select(F.xxhash64("id").alias("fp")).unionByName(spark.range(300).select((F.xxhash64("id").bitwiseXOR(F.lit(5))).alias("fp"))), "fps")
     found = simhash.linked(fps).collect()
     assert len(found) == 600 and "SortMergeJoin" in plans["met"] and "Broadcast" not in plans["met"]
+
+
+def test_rows_beyond_the_bound_are_not_broadcast(spark):
+    from claimloom.llm import linking
+
+    keys = spark.range(100)
+    for n, way in ((linking.BROADCAST_ROWS, "BroadcastHashJoin"), (linking.BROADCAST_ROWS + 1, "SortMergeJoin")):
+        many = linking.bounded(keys.select(F.col("id").alias("id1")), n)
+        assert way in keys.join(many, F.col("id") == F.col("id1"))._jdf.queryExecution().executedPlan().toString()
